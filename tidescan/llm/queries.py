@@ -1,5 +1,5 @@
 """The queries of the operators; each runs over its whole table with production parameters."""
-from tidescan.llm import substring_dedup
+from tidescan.llm import jaccard_join, substring_dedup
 
-QUERIES = {"op1_substring_dedup": substring_dedup.query}
+QUERIES = {"op1_substring_dedup": substring_dedup.query, "op6_jaccard_join": jaccard_join.query}
 SQL: dict[str, str] = {}
