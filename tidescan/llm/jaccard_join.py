@@ -6,7 +6,8 @@
 2. The rest are ordered by (sets that hold it, hash), rarest first. Two sets that reach the threshold share one of the first
    |S| - ceil(t |S|) + 1 n-grams (those held once come first and never meet), so these are the keys under which sets meet.
 3. Sets first meet under two min-hash keys, which links most near copies. Then, under every key, only those sets meet that are
-   not yet in one component, so that hot groups of near copies aren't compared again; keys with the same sets count once.
+   not yet in one component, so that hot groups of near copies aren't compared again; keys with the same sets count once, and
+   sets that keys chain together meet once, as a family, unless it is larger than a block.
    A key with more sets than `block` is cut into blocks: with the commonest component in blocks of its own, every other set
    meets all blocks. Nothing is capped or dropped.
 4. Where sets meet they are stored in a trie. A query set walks it, sharing the overlap of common prefixes, and leaves a
@@ -320,10 +321,21 @@ def _second_meeting(sets: DataFrame, components: DataFrame) -> DataFrame | None:
     named = sets.select("id", "size", "route").join(components, sets.id == components.node, "left").select("id", "size", "route", F.coalesce("component", "id").alias("component"))
     posts = named.select("id", "size", "component", F.explode("route").alias("key"))
     keys = posts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id", "size").cast("decimal(38,0)")).alias("who")).where("lo < hi")
-    keys = keep(keys.groupBy("who", "n", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n"))
+    keys = keep(keys.groupBy("who", "n", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n", "lo"))
     if keys.isEmpty():
         return None
     posts = keep(_with_small(posts, keys, ["key"], "inner"))
+    # Components that some key brings together form families. A family of up to BLOCK sets meets once, as a whole; only
+    # those of larger families meet key by key.
+    families = connected_components(posts.select(F.col("component").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    inside = keep(posts.select("id", "size", "component").distinct().join(families, "component"))
+    large = inside.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("family")
+    large = keep(families.join(large, "family").select("component"))
+    whole = inside.select(F.col("family").alias("key"), F.lit(-1).cast("long").alias("block"), "id", "size", "component")
+    if large.isEmpty():
+        return whole.join(sets.select("id", "size", "tokens"), ["id", "size"])
+    whole = _with_small(whole, large, ["component"], "left_anti").select("key", "block", "id", "size", "component")
+    posts = _with_small(posts.drop("lo"), large, ["component"], "left_semi")
     hot = posts.where(F.col("n") > BLOCK)
     if hot.isEmpty():
         posts = posts.select("key", F.lit(0).cast("long").alias("block"), "id", "size", "component")
@@ -337,7 +349,7 @@ def _second_meeting(sets: DataFrame, components: DataFrame) -> DataFrame | None:
         own = F.array_distinct(F.concat(F.transform(span("rows"), lambda i: cell(0, i, at("cols", 2))), F.transform(span("cols"), lambda j: cell(1, F.least(j, at("cols", 2)), F.greatest(j, at("cols", 2))))))
         h = h.select("key", F.explode(F.when(F.col("component") == F.col("main"), one).otherwise(own)).alias("block"), "id", "size", "component")
         posts = posts.where(F.col("n") <= BLOCK).select("key", F.lit(0).cast("long").alias("block"), "id", "size", "component").unionByName(h)
-    return posts.join(sets.select("id", "size", "tokens"), ["id", "size"])
+    return posts.unionByName(whole).join(sets.select("id", "size", "tokens"), ["id", "size"])
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
