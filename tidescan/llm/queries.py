@@ -1,5 +1,8 @@
 """The queries of the operators; each runs over its whole table with production parameters."""
-from tidescan.llm import jaccard_join, substring_dedup
+from tidescan.llm import embedding_dedup, jaccard_join, mixing, packing, substring_dedup
 
-QUERIES = {"op1_substring_dedup": substring_dedup.query, "op6_jaccard_join": jaccard_join.query}
+QUERIES = {
+    "op1_substring_dedup": substring_dedup.query, "op2_mixing": mixing.query, "op3_embedding_dedup": embedding_dedup.query,
+    "op5_packing": packing.query, "op6_jaccard_join": jaccard_join.query,
+}
 SQL: dict[str, str] = {}
