@@ -5,16 +5,21 @@ holds it (best fit). When none does, the fullest one is completed with the head
 anew. What is open at a task's end is merged in a tree, `fan_in` tasks at a time, by the same rules, with its ids; the very last
 tokens are cut into sequences whose lengths are powers of two, which need no padding.
 
-A document's ids are those of its white-space words, one after another: the tokenizer never joins across white space. Words are
-remembered, so that a worker tokenizes each once (up to `memo` words, then it starts anew).
+A document's ids are those of its white-space words, one after another: the tokenizer never joins across white space. Words
+and their runs of letters are remembered, so that a worker tokenizes the frequent ones once (two generations of `memo` entries).
 
 Edges: a null or empty text has the end id alone; rows with equal ids are packed each; no rows give no rows. Memory of a task: open
 sequences, one batch of texts, and the remembered words.
 """
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
+from array import array
+from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,48 +35,77 @@ _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _loaded: dict = {}
 
 
+class Memo(dict):
+    """Two generations: when the young one is full it becomes the old one, whose entries return when they are used."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old, self.new = most, {}, []
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            self.new.append(key)
+            found = b""
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class Words:
     """Ids of texts by a tokenizer, as little-endian unsigned 32-bit integers."""
 
+    #: Words of ASCII signs and letters of any script, without apostrophes, are tokenized by their runs.
+    PLAIN = re.compile(r"(?:[!-&(-~]|[^\W\d_\x00-\x7f])+")
+    RUNS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
+
     def __init__(self, spec: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_str(spec), memo, {}
+        self.tokenizer, self.words, self.runs = Tokenizer.from_str(spec), Memo(memo), Memo(memo)
         self.lower = all(self._ids(x) == self._ids(x.lower()) for x in ("Abc", "ABC"))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        known, hard = self.known, []
-        for w in new:
-            # A single comma or full stop after an ASCII letter is a token of its own.
-            if w[-1:] in (b",", b".") and w[:-1].isalpha() and w.isascii():
-                known[w] = None
-                hard += [x for x in (w[:-1], w[-1:]) if x not in known]
-                known.update(dict.fromkeys((x for x in (w[:-1], w[-1:]) if x not in known), b""))
-            elif not known.get(w):
-                hard.append(w)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in hard], add_special_tokens=False)
-        for w, e in zip(hard, found, strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        for w in new:
-            if known[w] is None:
-                known[w] = known[w[:-1]] + known[w[-1:]]
+    def _split(self, text: str) -> list[str]:
+        if text.isalpha():
+            return [text]
+        if text[-1] in ",." and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.RUNS.findall(text) if self.PLAIN.fullmatch(text) else [text]
+
+    def _learn(self) -> list[tuple[bytes, bytes]]:
+        """The ids of what words has met for the first time."""
+        new, self.words.new = self.words.new, []
+        split = [self._split(w.decode("utf-8", "replace")) for w in new]
+        deque(map(self.runs.__getitem__, chain.from_iterable(split)), maxlen=0)
+        fresh, self.runs.new = self.runs.new, []
+        for r, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.runs[r] = array("I", e.ids).tobytes()
+        get = self.runs.__getitem__
+        found = list(zip(new, (get(rs[0]) if len(rs) == 1 else b"".join(map(get, rs)) for rs in split), strict=True))
+        self.words.update(found)
+        self.runs.turn()
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
+        self.words.turn()
         split = []
         for t in texts:
             raw = (t or "").encode("utf-8", "replace")
             # Special tokens are found before anything is split or lowered.
             split.append(None if b"<|" in raw else (raw.lower() if self.lower else raw).split())
-        every = set().union(*(s for s in split if s))
-        if new := [w for w in every if w not in self.known]:
-            self._learn(new)
-        get = self.known.__getitem__
+        here = dict.fromkeys(chain.from_iterable(filter(None, split)))
+        here.update(zip(here, map(self.words.__getitem__, here), strict=True))
+        if self.words.new:
+            here.update(self._learn())
+        get = here.__getitem__
         return [self._ids(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
@@ -140,12 +174,13 @@ def _pack(spec, length: int, windows: int, memo: int):
             _loaded.clear()
             _loaded[key] = Words(spec.value, memo)
         part = TaskContext.get().partitionId()
+        gc.disable()  # nothing here is cyclic, and the collector would walk the remembered words again and again
         packer, end = Packer(length, windows, part << 32), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             at = 0
             while at < b.num_rows:
                 ids, texts, size = [], [], 0
-                while at < b.num_rows and size < 4 << 20:
+                while at < b.num_rows and size < 1 << 20:
                     ids.append(b.column(0)[at].as_py())
                     texts.append(b.column(1)[at].as_py())
                     size += len(texts[-1] or "") + 64
@@ -153,10 +188,11 @@ def _pack(spec, length: int, windows: int, memo: int):
                 for i, raw in zip(ids, _loaded[key].encode(texts), strict=True):
                     found = np.frombuffer(raw + end, "<u4")
                     packer.add(i, 0, found, len(found))
-                if packer.out:
+                if len(packer.out) > 5000:
                     yield _table(packer.out)
                     packer.out = []
-        yield _table(packer.rest(part))
+        gc.enable()
+        yield _table(packer.out + packer.rest(part))
 
     return run
 
@@ -178,7 +214,7 @@ def _merge(length: int, windows: int, level: int, last: bool):
     return run
 
 
-def packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, windows: int = 16, fan_in: int = 32, memo: int = 500_000) -> DataFrame:
+def packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, windows: int = 16, fan_in: int = 32, memo: int = 400_000) -> DataFrame:
     """Per piece: the document's id, start, length, ids_crc32, doc_tokens, sequence_id, offset. tokenizer: a path on the driver."""
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
     done = keep(columns(docs, id_col, text_col).mapInArrow(_pack(spec, length, windows, memo), _SCHEMA))
