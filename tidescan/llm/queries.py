@@ -1,8 +1,8 @@
 """The queries of the operators; each runs over its whole table with production parameters."""
-from tidescan.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, quality, substring_dedup
+from tidescan.llm import embedding_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query, "op2_mixing": mixing.query, "op3_embedding_dedup": embedding_dedup.query,
-    "op4_language_id": language_id.query, "op5_packing": packing.query, "op6_jaccard_join": jaccard_join.query, "op8_quality": quality.query,
+    "op4_language_id": language_id.query, "op5_packing": packing.query, "op6_jaccard_join": jaccard_join.query, "op7_html_extract": html_extract.query, "op8_quality": quality.query,
 }
 SQL: dict[str, str] = {}
