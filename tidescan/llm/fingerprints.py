@@ -101,7 +101,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     after = keep(next_documents(rows))
-    every = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "h").orderBy("h")))
+    # A running count, not a rank: a limit on ranks would be pushed below one of the two exchanges of the texts, which then differ.
+    every = rows.withColumn("copy", F.count(F.lit(1)).over(Window.partitionBy("id", "h").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     asked = after.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("of_id"), F.col("h").alias("of_h"), "half")
     heads = every.where("copy = 1").join(asked, ["id", "h"]).select(F.col("of_id").alias("id"), F.col("of_h").alias("h"), "half", F.expr("substring(text, 1, half)").alias("head"), F.expr(digests("text", piece)).alias("n_keys"))
     both = every.join(heads, ["id", "h"]).select("id", "n_keys", "text", F.expr("concat(substring(text, 1, length(text) - half), head)").alias("edited"))
