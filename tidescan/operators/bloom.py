@@ -25,10 +25,18 @@ def bit_positions(trigram: Column) -> Column:
     return F.array(*(F.pmod(F.xxhash64(trigram, F.lit(s)), F.lit(64 * WORDS)).cast("int") for s in SEEDS))
 
 
+def _bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(position, F.lit(64)).cast("int"))
+
+
+def _word(bits: Column, w: int) -> Column:
+    return F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(_bit(b)))
+
+
 def encode(text: Column) -> Column:
     """The filter of one string: an array of four words."""
     bits = F.array_distinct(F.flatten(F.transform(trigrams(text), bit_positions)))
-    return F.array(*(F.aggregate(F.filter(bits, lambda b, w=w: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.expr("1L").cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int")))) for w in range(WORDS)))
+    return F.array(*(_word(bits, w) for w in range(WORDS)))
 
 
 def covers(bloom: Column, needle: Column) -> Column:
@@ -39,7 +47,7 @@ def covers(bloom: Column, needle: Column) -> Column:
 def build(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One filter for each key: the OR of its rows' filters. Exploded trigrams are distinct per task before the shuffle."""
     bits = df.select(*keys, F.explode(F.transform(trigrams(F.col(column)), bit_positions)).alias("two")).select(*keys, F.explode("two").alias("bit"))
-    words = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    words = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, _bit(F.col("bit"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
     return bits.groupBy(*keys).agg(*words).select(*keys, F.array(*(f"w{w}" for w in range(WORDS))).alias("bloom"))
 
 
