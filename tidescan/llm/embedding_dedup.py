@@ -93,6 +93,7 @@ def _compare(kind: str, bits: int, tables: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         key = np.column_stack([table.column(c).to_numpy() for c in ("where", "cell")])
         t, ids, copies, side = (table.column(c).to_numpy() for c in ("t", "id", "copies", "side"))
+        across = table.column("across").to_pylist()
         vec, label = table.column("vec"), table.column("label").to_pylist()
         sig = table.column("s").to_numpy()
         name = np.unique(np.array(label, dtype=object), return_inverse=True)[1] if len(label) else np.empty(0, int)
@@ -110,7 +111,7 @@ def _compare(kind: str, bits: int, tables: int, threshold: float):
             near = (x @ x.T) / norm[:, None] / norm[None, :] >= threshold
             near |= near.T
             np.fill_diagonal(near, False)
-            if len(set(side[rows])) > 1:
+            if across[rows[0]]:
                 near &= side[rows][:, None] != side[rows][None, :]
             if not near.any():
                 continue
@@ -150,8 +151,8 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     posts = posts.join(F.broadcast(hot) if few <= SMALL_ROWS else hot, F.col("where") == F.col("w"), "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK))
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks"))
     # Cell (i, j) compares block i with block j; where they are the same, all its vectors among themselves.
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    posts = posts.select("id", "label", "vec", "copies", "t", "s", "where", own.alias("side"), F.explode(cells).alias("cell"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct((F.least(own, j) * F.col("blocks") + F.greatest(own, j)).alias("cell"), (j != own).alias("across")))
+    posts = posts.select("id", "label", "vec", "copies", "t", "s", "where", own.alias("side"), F.explode(cells).alias("c")).select("id", "label", "vec", "copies", "t", "s", "where", "side", "c.*")
     slots = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // 50_000))
     found = keep(posts.withColumn("slot", F.pmod(F.xxhash64("where", "cell"), F.lit(slots))).groupBy("slot").applyInArrow(_compare(kind, bits, tables, threshold), "a long, b long, n long"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidescan.llm.common import keep, mix
+from tidescan.llm.common import NULL_ID, keep, mix
 
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
@@ -98,7 +98,7 @@ def _combine(seed: int, last: bool):
 
 def mixing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0, cell_rows: int = 4096, fan_in: int = 16) -> DataFrame:
     """Per document: its id, source, size, source_size, target (of its source) and copies."""
-    base = docs.select(F.col(id_col).cast("long").alias("row"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("row"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     base = keep(base)
     totals = sorted(base.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     aims = targets([r["s"] for r in totals], share, weights, most)
@@ -123,7 +123,7 @@ def mixing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         late = late.select(F.col("source").alias("s2"), F.col("leaf").alias("l2"), F.col("copies").alias("late"))
         out = leaves.join(late, leaves.source.eqNullSafe(late.s2) & (leaves.leaf == late.l2) & (leaves.part > 0), "left").withColumn("copies", F.coalesce("late", "copies"))
     out = out.join(rates, F.col("source").eqNullSafe(F.col("of")), "left")
-    return out.select(F.col("row").alias(id_col), "source", "size", "source_size", "target", "copies")
+    return out.select(F.when(F.col("row") != NULL_ID, F.col("row")).alias(id_col), "source", "size", "source_size", "target", "copies")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
