@@ -214,7 +214,7 @@ def _merge(length: int, windows: int, level: int, last: bool):
     return run
 
 
-def packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, windows: int = 16, fan_in: int = 32, memo: int = 400_000) -> DataFrame:
+def packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, windows: int = 16, fan_in: int = 32, memo: int = 250_000) -> DataFrame:
     """Per piece: the document's id, start, length, ids_crc32, doc_tokens, sequence_id, offset. tokenizer: a path on the driver."""
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
     done = keep(columns(docs, id_col, text_col).mapInArrow(_pack(spec, length, windows, memo), _SCHEMA))
