@@ -285,3 +285,18 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() and {r.doc_id for r in out.select("doc_id").distinct().collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
     assert not any((out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048")).collect())
+
+
+def test_line_dedup_word_changed(spark, docs):
+    """A word changed, put in or left out in a line of ordinary length; a letter in a short one."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcdefghijkl"), int(r.integers(3, 8))))
+    rows = []
+    for k in range(60):
+        w = [word() for _ in range((9, 20, 50)[k % 3])]
+        at, most = int(r.integers(len(w))), len(" ".join(w)) // 10
+        other = [w[:at] + ["z" * min(len(w[at]), most) + w[at][most:]] + w[at + 1 :], w[:at] + ["z" * min(4, most - 1)] + w[at:], w[:at] + w[at + 1 :] if len(w[at]) < most else w[:at] + ["zz"] + w[at:]][k % 7 % 3]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    rows += [(200, "abcdefghij"), (201, "abcdefghi"), (202, "mnopqrstuvwxyz"), (203, "mnopqrstuvwxy0")]
+    got = {x.doc_id: x.n_removed for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in got if got[i] != i % 2] == [] and line_dedup.line_dedup(docs).count() == docs.count()
