@@ -300,3 +300,16 @@ def test_line_dedup_word_changed(spark, docs):
     rows += [(200, "abcdefghij"), (201, "abcdefghi"), (202, "mnopqrstuvwxyz"), (203, "mnopqrstuvwxy0")]
     got = {x.doc_id: x.n_removed for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i in got if got[i] != i % 2] == [] and line_dedup.line_dedup(docs).count() == docs.count()
+
+
+def test_line_dedup_long(spark):
+    """One passage of 250 characters, and a tenth in scattered words, in lines of 20,000 and 12,000 characters."""
+    r = np.random.default_rng(13)
+    word = lambda: "".join(r.choice(list("abcdefghijkl"), 5))
+    a, b = [word() for _ in range(3333)], [word() for _ in range(2000)]
+    passage = a[:1500] + [word() for _ in range(42)] + a[1542:]
+    spread = [word() if k % 12 == 5 else w for k, w in enumerate(b)]
+    other = [word() if k % 3 else w for k, w in enumerate(b)]
+    rows = [(k, " ".join(w)) for k, w in enumerate((a, passage, b, spread, other))]
+    got = {x.doc_id: x.n_removed for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0}
