@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidescan.llm.boosting import Boosted
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|math|iframe|object)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)(?:>|\Z)""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|title|iframe)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)(?:>|\Z)""", re.S | re.I)
 _ATTR = re.compile(r"""(?:id|class|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that a head may hold; any other ends it.
+HEAD = frozenset("base link meta noscript script style template title".split())
 #: Elements that start a block of their own.
 BLOCK = frozenset("html body div p article section main nav header footer aside ul ol li dl dt dd table thead tbody tfoot tr td th form fieldset h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog menu button select option textarea label hgroup search center noscript head".split())
 #: Elements that end an open paragraph.
@@ -113,8 +115,10 @@ def parse(page: str) -> list[Node]:
         if tag == "head":
             head = True
             continue
-        if tag == "body":
+        if head and tag not in HEAD:
             head = False
+        if head and tag == "noscript":
+            continue
         if tag == "html" or tag == "body" and any(t == "body" for t, _ in stack):
             continue
         if tag in VOID:
