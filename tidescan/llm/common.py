@@ -113,6 +113,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each links nodes to the smallest neighbour that they know, until
     every component is one star. Edges are grouped by partial minima and joined, so a hub is split by skew handling.
+    Raises if edges still change in the last round.
     """
     e = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
@@ -127,6 +128,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
