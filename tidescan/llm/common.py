@@ -1,7 +1,10 @@
 """What several operators share: words, hashes, packed arrays, bucket counts, checkpoints, connected components."""
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
 import tempfile
 
 import numpy as np
@@ -15,6 +18,8 @@ NULL_ID = -(2**63)
 BUCKET_BYTES = 8 << 20
 #: Text bytes that a task gathers before it hashes and deals them out.
 CHUNK_BYTES = 12 << 20
+#: Narrow rows that may be broadcast once they are counted.
+SMALL_ROWS = 500_000
 _M = np.uint64
 
 
@@ -80,14 +85,41 @@ def id_bucket(ids: np.ndarray, n: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % _M(n)).astype(np.int32)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where all executors can write and read: what the cluster names, else the session's checkpoint folder.
+
+    A temporary folder, removed at exit, is made on a local master alone; elsewhere the executors couldn't see it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir isn't set: it has to name a folder that all executors share")
+    own = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, own, True)
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df computed once and kept where all executors see it; its lineage ends there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def within_rows(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
+    """A join whose small side, of narrow rows, is broadcast if its counted rows allow it; else Spark decides."""
+    return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many more underscores in front as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := "_" * k + name).lower() not in taken) for name in names]
+
+
 def chunks(batches, size: int = CHUNK_BYTES):
     """Lists of (id, text) of about `size` bytes of text from Arrow batches of an id and a text column."""
     rows, total = [], 0
