@@ -2,7 +2,7 @@
 
 A page becomes a tree of block elements, whose own text is what inline elements hold. Features are a node's tag, tokens of its id,
 class and role and those of its ancestors, text and link density of its subtree, depth, and its place among its siblings. The trees
-are trained here, on pages that `training_page` writes with known answers. The decoder keeps the set of nodes with the largest
+are trained here, on pages that `training_page` and `bare_page` write with known answers. The decoder keeps the set of nodes with the largest
 sum of log odds in which every kept node has only kept ancestors, so that no part of a dropped block comes back.
 
 Pages are independent: there is no shuffle. Edges: null or empty html, or a page without a main text, gives an empty text; broken
@@ -15,6 +15,7 @@ import html
 import math
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,12 @@ _TAG = {t: k for k, t in enumerate(TAGS)}
 
 
 class Node:
-    __slots__ = ("tag", "groups", "parent", "children", "runs", "links", "depth")
+    __slots__ = ("tag", "groups", "parent", "children", "tags", "runs", "links", "depth")
 
     def __init__(self, tag: str, groups: int, parent: Node | None):
         self.tag, self.groups, self.parent = tag, groups, parent
         self.children: list[Node] = []
+        self.tags: dict[str, int] = {}  # how many children have a tag
         self.runs: list[tuple[int, str]] = []
         self.links, self.depth = 0, parent.depth + 1 if parent else 0
 
@@ -73,6 +75,7 @@ def parse(page: str) -> list[Node]:
     """Block nodes in page order; runs are (place in the page, text of one stretch of inline content)."""
     root = Node("html", 0, None)
     nodes, stack, at, place, text, anchor, head = [root], [("html", root)], 0, 0, [], 0, False
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack
 
     def flush():
         nonlocal place, text
@@ -86,9 +89,19 @@ def parse(page: str) -> list[Node]:
         nonlocal anchor
         if any(b for _, b in stack[k:] if b is not stack[k - 1][1]):
             flush()
-        anchor -= sum(t == "a" for t, _ in stack[k:])
+        for t, _ in stack[k:]:
+            anchor -= t == "a"
+            places[t].pop()
         del stack[k:]
 
+    def last(*tags: str) -> int:
+        """Place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def push(tag: str, node: Node):
+        places[tag].append(len(stack))
+        stack.append((tag, node))
+
     def put(raw: str):
         if raw and not head:
             found = html.unescape(raw)
@@ -107,7 +120,7 @@ def parse(page: str) -> list[Node]:
                 head = False
             if tag == "br":
                 text.append(" ")
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            k = last(tag)
             # An inline end tag doesn't reach beyond its block.
             if k and (tag in BLOCK or stack[k][1] is stack[-1][1]):
                 close(k)
@@ -119,33 +132,31 @@ def parse(page: str) -> list[Node]:
             head = False
         if head and tag == "noscript":
             continue
-        if tag == "html" or tag == "body" and any(t == "body" for t, _ in stack):
+        if tag == "html" or tag == "body" and places["body"]:
             continue
         if tag in VOID:
             text.append(" ")
             continue
         if tag in ENDS_P:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-            if k and not any(b.tag in ("button", "td", "th", "table") for _, b in stack[k + 1 :]):
+            k = last("p")
+            if k > last("button", "td", "th", "table"):
                 close(k)
         if tag in ("li", "option", "tr", "td", "th", "dt", "dd"):
             same = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, (tag,))
             stop = {"li": ("ul", "ol", "menu"), "option": ("select",), "dt": ("dl",), "dd": ("dl",)}.get(tag, ("table",))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in same:
-                    close(k)
-                    break
-                if stack[k][0] in stop:
-                    break
+            k = last(*same)
+            if k > last(*stop):
+                close(k)
         if tag in BLOCK:
             flush()
             node = Node(tag, groups_of(m[4] or ""), stack[-1][1])
             stack[-1][1].children.append(node)
+            stack[-1][1].tags[tag] = stack[-1][1].tags.get(tag, 0) + 1
             nodes.append(node)
-            stack.append((tag, node))
+            push(tag, node)
         else:
             anchor += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
     put(page[at:])
     flush()
     return nodes
@@ -172,7 +183,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         if k:
             above[k] = above[p] | nodes[p].groups
             ancestors[k] = ancestors[p] | 1 << _TAG.get(nodes[p].tag, 31)
-        siblings = v.parent.children if v.parent else [v]
+        siblings, alike = (len(v.parent.children), v.parent.tags[v.tag]) if v.parent else (1, 1)
         row = out[k]
         if v.tag in _TAG:
             row[_TAG[v.tag]] = 1
@@ -181,7 +192,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             row[base + g + j] = above[k] >> j & 1
         row[base + 2 * g :] = (
             math.log1p(own[k]), math.log1p(chars[k]), links[k] / max(1, chars[k]), chars[k] / blocks[k], math.log1p(blocks[k]), math.log1p(paras[k]), stops[k] / max(1, chars[k]),
-            v.depth, len(siblings), sum(s.tag == v.tag for s in siblings) / len(siblings), chars[k] / total, seen / total, chars[k] / max(1, chars[p]), v.tag in ("button", "select", "option", "textarea", "label", "fieldset"),
+            v.depth, siblings, alike / siblings, chars[k] / total, seen / total, chars[k] / max(1, chars[p]), v.tag in ("button", "select", "option", "textarea", "label", "fieldset"),
             ancestors[k] >> _TAG["article"] & 1 or ancestors[k] >> _TAG["main"] & 1, ancestors[k] >> _TAG["nav"] & 1 or ancestors[k] >> _TAG["form"] & 1, ancestors[k] >> _TAG["header"] & 1, ancestors[k] >> _TAG["footer"] & 1, ancestors[k] >> _TAG["aside"] & 1, ancestors[k] >> _TAG["li"] & 1,
         )
         seen += own[k]
@@ -289,6 +300,17 @@ def training_page(seed: int) -> tuple[str, str]:
     return page, " ".join(main)
 
 
+def bare_page(seed: int) -> tuple[str, str]:
+    """A page of prose alone, in paragraphs or without markup, and its text."""
+    r = random.Random(f"bare {seed}")
+    texts = [_prose(r, r.choice((1, 3, 8))) for _ in range(r.choice((1, 1, 2, 5)))]
+    kind = r.choice(("plain", "p", "body", "div"))
+    if kind == "plain":
+        return " ".join(texts), " ".join(texts)
+    page = "".join(f"<{'div' if kind == 'div' else 'p'}>{t}</{'div' if kind == 'div' else 'p'}>" for t in texts)
+    return f"<html><body>{page}</body></html>" if kind == "body" else page, " ".join(texts)
+
+
 def _labels(nodes: list[Node], main: str) -> list[int]:
     """1 for a node with main text of its own or below it."""
     number = {id(v): k for k, v in enumerate(nodes)}
@@ -304,11 +326,10 @@ def _labels(nodes: list[Node], main: str) -> list[int]:
 @functools.lru_cache(maxsize=2)
 def trained(pages: int = 1000) -> Boosted:
     x, y = [], []
-    for seed in range(pages):
-        page, main = training_page(seed)
+    for page, main in [*map(training_page, range(pages)), *map(bare_page, range(pages // 10))]:
         nodes = parse(page)
-        x.append(features(nodes)[1:])
-        y += _labels(nodes, main)[1:]
+        x.append(features(nodes))
+        y += _labels(nodes, main)
     return Boosted(trees=60).fit(np.concatenate(x), np.array(y, float))
 
 
