@@ -87,11 +87,13 @@ def _send(width: int, n: int):
                 own = (flat % np.uint64(n)).astype(np.int32)
                 order = np.argsort(own, kind="stable")
                 flat, doc, own = flat[order] >> np.uint64(16), doc[order], own[order]
-                table = pack(np.array(ids, np.int64), True), pack(counts.astype(np.uint32))
+                ids, counts = np.array(ids, np.int64), counts.astype(np.uint32)
                 at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 for lo, hi in zip(at, np.r_[at[1:], len(own)], strict=True):
-                    held = np.bincount(doc[lo:hi], minlength=len(ids)).astype(np.uint32)
-                    out.append((int(own[lo]), SHARED, table[0], _NONE, table[1], pack(held), np.ascontiguousarray(flat[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
+                    # Only the sets that the bucket has n-grams of, so what is sent doesn't grow with the number of buckets.
+                    new = lo + np.flatnonzero(np.r_[True, doc[lo + 1 : hi] != doc[lo : hi - 1]])
+                    held, of = np.diff(np.r_[new, hi]).astype(np.uint32), doc[new]
+                    out.append((int(own[lo]), SHARED, pack(ids[of], True), _NONE, pack(counts[of]), pack(held), np.ascontiguousarray(flat[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
             yield from _table(out, _PART_NAMES, _PART_TYPES)
 
     return run

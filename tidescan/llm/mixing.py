@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidescan.llm.common import NULL_ID, keep, mix
+from tidescan.llm.common import NULL_ID, keep, mix, own_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
@@ -98,7 +98,7 @@ def _combine(seed: int, last: bool):
 
 def mixing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0, cell_rows: int = 4096, fan_in: int = 16) -> DataFrame:
     """Per document: its id, source, size, source_size, target (of its source) and copies."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("row"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     base = keep(base)
     totals = sorted(base.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     aims = targets([r["s"] for r in totals], share, weights, most)
@@ -128,11 +128,15 @@ def mixing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    order = Window.partitionBy("_id").orderBy("_source", "_size")
-    left = docs.withColumns({"_id": F.col(id_col).cast("long"), "_source": F.col(source_col).cast("string"), "_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")}).withColumn("_n", F.row_number().over(order))
-    right = mixing(docs, id_col, text_col, source_col, **params).select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").withColumn("_n", F.row_number().over(order)).select(F.col("_id").alias("_i"), F.col("_n").alias("_m"), "copies")
-    both = left.join(right, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_n") == F.col("_m"))).where("copies > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    i, of, size, n, copy = own_names(docs, "_id", "_source", "_size", "_n", "_copy")
+    words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    left = docs.withColumns({i: F.col(f"`{id_col}`").cast("long"), of: F.col(f"`{source_col}`").cast("string"), size: words})
+    left = left.withColumn(n, F.row_number().over(Window.partitionBy(i).orderBy(of, size)))
+    right = mixing(docs, id_col, text_col, source_col, **params).select(F.col(id_col).alias("row"), "source", "size", "copies")
+    right = right.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("source", "size"))).select("row", "nth", "copies")
+    right = right.where("copies > 0").select(F.col("row").alias(f"{i}2"), F.col("nth").alias(f"{n}2"), F.sequence(F.lit(1).cast("long"), "copies").alias(f"{copy}2"))
+    both = left.join(right, F.col(i).eqNullSafe(F.col(f"{i}2")) & (F.col(n) == F.col(f"{n}2")))
+    return both.withColumn(copy, F.explode(f"{copy}2")).select(*(left[c] for c in left.columns[: len(docs.columns)]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

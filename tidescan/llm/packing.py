@@ -62,19 +62,25 @@ class Words:
     #: Words of ASCII signs and letters of any script, without apostrophes, are tokenized by their runs.
     PLAIN = re.compile(r"(?:[!-&(-~]|[^\W\d_\x00-\x7f])+")
     RUNS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
+    #: The one letter whose lower case has two code points, of which the second is no letter.
+    TWO = "\u0130"
+    #: Texts by which it shows whether words and runs can be tokenized one by one.
+    PROBES = ("Two words, and  more.\nLines\tand tabs", "it's 12,5 (x_y) a-b... --", "Na\u00efve \u6f22\u5b57 \u00bd #tag", "I\u0307 \u0130, \u0130x; a\u0301b!", " lead trail ")
 
     def __init__(self, spec: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.runs = Tokenizer.from_str(spec), Memo(memo), Memo(memo)
-        self.lower = all(self._ids(x) == self._ids(x.lower()) for x in ("Abc", "ABC"))
+        self.lower, self.whole = all(self._ids(x) == self._ids(x.lower()) for x in ("Abc", "ABC")), False
+        # Another tokenizer may join across white space or cut runs elsewhere: then texts are tokenized whole.
+        self.whole = [self._ids(t) for t in self.PROBES] != self.encode(list(self.PROBES))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _split(self, text: str) -> list[str]:
-        if text.isalpha():
+        if text.isalpha() or self.TWO in text:
             return [text]
         if text[-1] in ",." and text[:-1].isalpha():
             return [text[:-1], text[-1]]
@@ -95,6 +101,8 @@ class Words:
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if self.whole:
+            return [self._ids(t or "") for t in texts]
         self.words.turn()
         split = []
         for t in texts:
@@ -174,24 +182,26 @@ def _pack(spec, length: int, windows: int, memo: int):
             _loaded.clear()
             _loaded[key] = Words(spec.value, memo)
         part = TaskContext.get().partitionId()
-        gc.disable()  # nothing here is cyclic, and the collector would walk the remembered words again and again
         packer, end = Packer(length, windows, part << 32), np.array([END_ID], "<u4").tobytes()
-        for b in batches:
-            at = 0
-            while at < b.num_rows:
-                ids, texts, size = [], [], 0
-                while at < b.num_rows and size < 1 << 20:
-                    ids.append(b.column(0)[at].as_py())
-                    texts.append(b.column(1)[at].as_py())
-                    size += len(texts[-1] or "") + 64
-                    at += 1
-                for i, raw in zip(ids, _loaded[key].encode(texts), strict=True):
-                    found = np.frombuffer(raw + end, "<u4")
-                    packer.add(i, 0, found, len(found))
-                if len(packer.out) > 5000:
-                    yield _table(packer.out)
-                    packer.out = []
-        gc.enable()
+        gc.disable()  # nothing here is cyclic, and the collector would walk the remembered words again and again
+        try:
+            for b in batches:
+                at = 0
+                while at < b.num_rows:
+                    ids, texts, size = [], [], 0
+                    while at < b.num_rows and size < 1 << 20:
+                        ids.append(b.column(0)[at].as_py())
+                        texts.append(b.column(1)[at].as_py())
+                        size += len(texts[-1] or "") + 64
+                        at += 1
+                    for i, raw in zip(ids, _loaded[key].encode(texts), strict=True):
+                        found = np.frombuffer(raw + end, "<u4")
+                        packer.add(i, 0, found, len(found))
+                    if len(packer.out) > 5000:
+                        yield _table(packer.out)
+                        packer.out = []
+        finally:
+            gc.enable()
         yield _table(packer.out + packer.rest(part))
 
     return run

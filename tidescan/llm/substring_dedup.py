@@ -90,10 +90,14 @@ def _send(window: int, n: int):
             own = (hashes[first] % np.uint64(n)).astype(np.int32)
             order = np.argsort(own, kind="stable")
             first, own = first[order], own[order]
-            table = pack(ids, True), pack(sums), pack(counts)
+            doc = np.searchsorted(base, first, "right") - 1
+            starts = (first - base[doc]).astype(np.uint32)
+            # A bucket gets only the documents that it has windows of, so what is sent doesn't grow with the number of buckets.
             for k, lo, hi in _runs(own):
-                out.append((int(k), False, *table, pack(first[lo:hi].astype(np.uint32), True), hashes[first[lo:hi]].tobytes()))
-            del hashes, order, same, again, first
+                at = lo + np.flatnonzero(np.r_[True, doc[lo + 1 : hi] != doc[lo : hi - 1]])
+                held = np.diff(np.r_[at, hi]).astype(np.uint32)
+                out.append((int(k), False, pack(ids[doc[at]], True), pack(sums[doc[at]]), pack(held), pack(starts[lo:hi], True), hashes[first[lo:hi]].tobytes()))
+            del hashes, order, same, again, first, doc, starts
             for j in range(0, len(out), 64):
                 yield _batch(out[j : j + 64], names, types)
 
@@ -109,12 +113,10 @@ def _count(n: int):
             if r["local"]:
                 out.append((r["bucket"], r["ids"], r["sums"], r["counts"], r["places"]))
                 continue
-            base = np.r_[0, np.cumsum(unpack(r["counts"], np.uint32), dtype=np.int64)]
-            place = unpack(r["places"], np.uint32, True).astype(np.int64)
-            doc = np.searchsorted(base, place, "right") - 1
+            held = unpack(r["counts"], np.uint32)
             hashes.append(np.frombuffer(r["hashes"], np.uint64))
-            docs.append((doc + seen).astype(np.uint32))
-            starts.append((place - base[doc]).astype(np.uint32))
+            docs.append((np.repeat(np.arange(len(held), dtype=np.uint32), held) + np.uint32(seen)).astype(np.uint32))
+            starts.append(unpack(r["places"], np.uint32, True))
             ids.append(unpack(r["ids"], np.int64, True))
             sums.append(unpack(r["sums"], np.uint32))
             seen += len(ids[-1])
