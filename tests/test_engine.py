@@ -153,8 +153,8 @@ def test_requests(spark, tmp_path):
     assert run(api.Insert([1, 2], 1, [{2: [1]}])).error.code == "InconsistentData" and run(api.Insert([1], 1, [{2: [1]}, {2: [1]}])).error.code == "InconsistentData"
     assert run(api.Insert([1, 2, 3], 1, [{2: [4, 5, 6]}, {3: ["ab", "bc", "cd"]}])).ok == 3
     assert run(api.ScanRequest(5, 1, [0])).error.code == "InvalidScanRequest" and run(api.ScanRequest(0, 9, [])).error.code == "InvalidScanRequest"
-    assert run(api.ScanRequest(0, 9, [0], [[api.ScanFilter(3, "lt", "x")]])).error.code == "InvalidFilter"
-    assert run(api.ScanRequest(0, 9, [0], [[api.ScanFilter(2, "contains", 3)]])).error.code == "InvalidFilter"
+    assert run(api.ScanRequest(0, 9, [0], [[api.ScanFilter(3, "lt", "x")]])).error.code == "InvalidScanRequest"
+    assert run(api.ScanRequest(0, 9, [0], [[api.ScanFilter(2, "contains", 3)]])).error.code == "InvalidScanRequest"
     triples, state = run(api.ScanRequest(0, 9, [0, 2], [[api.ScanFilter(2, "in", (4, 6))], [api.ScanFilter(3, "contains", "bc")]])).ok
     assert sorted(triples[0].data.to_pylist()) == [1, 2, 3] and state is None and triples[1].column_type == "I64Dense"
     assert run(api.AddColumnIndex(3)).ok == 3 and run(api.AddColumnIndex(3)).error.code == "CatalogError"

@@ -53,7 +53,3 @@ class InconsistentData(ApiError):
 
 class InvalidScanRequest(ApiError):
     code = "InvalidScanRequest"
-
-
-class InvalidFilter(ApiError):
-    code = "InvalidFilter"

@@ -13,7 +13,9 @@ BLOCK_SIZE = 1048576
 TIMESTAMP_MIN = 1
 TIMESTAMP_MAX = 8210298326400000000
 
-_NOT_LINEAR = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<)|(?<!\\)[*+?}]\+")
+#: Parts of a pattern: an escape, a character class as a whole, or one character.
+_PARTS = re.compile(r"\\.|\[\^?\]?(?:\[:\w+:\]|\\.|[^\]\\])*\]|.", re.S)
+_NOT_LINEAR = re.compile(r"\(\?(?:=|!|<=|<!|>)")
 
 
 def ts_micros(column: Column) -> Column:
@@ -42,11 +44,22 @@ def is_literal(pattern: str) -> bool:
 
 def check_pattern(pattern: str) -> str:
     """The pattern, if a linear-time matcher could run it: no look-around, back-references or possessive repeats."""
-    if _NOT_LINEAR.search(pattern):
+    parts = _PARTS.findall(pattern)
+    bare = "".join("x" if len(p) > 1 else p for p in parts)  # escapes and classes can't be repeats or groups
+    if _NOT_LINEAR.search(bare) or re.search(r"[*+?}]\+", bare) or any(re.fullmatch(r"\\[1-9k]", p) for p in parts):
         raise ScanError(f"pattern needs backtracking: {pattern}")
     return pattern
 
 
+def java_pattern(pattern: str) -> str:
+    """The pattern for Java's matcher: `$` is the end of the text alone, only a line feed ends a line, and \\w, \\d, \\s, \\b know all scripts."""
+    parts = _PARTS.findall(check_pattern(pattern))
+    lines = re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
+    out = "".join("\\z" if p == "$" and not lines else p for p in parts)
+    flags = ("d" if "." in parts or lines else "") + ("U" if re.search(r"\\[wWdDsSbB]|\[:", pattern) else "")
+    return f"(?{flags}){out}" if flags else out
+
+
 def chunk_capacity(bytes_per_row: list[int]) -> int:
     """Rows that fit in one chunk: the widest column fills its block first. ts takes 8 bytes."""
     return BLOCK_SIZE // max([8, *bytes_per_row])

@@ -13,7 +13,7 @@ from operator import and_, or_
 from pyspark.sql import Column, functions as F, types as T
 
 from tidescan.errors import ScanError
-from tidescan.functions.scalar import check_pattern, is_literal
+from tidescan.functions.scalar import is_literal, java_pattern
 
 _ORDER = {"lt": Column.__lt__, "lteq": Column.__le__, "eq": Column.__eq__, "gteq": Column.__ge__, "gt": Column.__gt__, "noteq": Column.__ne__}
 _TEXT = {"starts_with": Column.startswith, "ends_with": Column.endswith, "contains": Column.contains, "matches": Column.rlike}
@@ -34,7 +34,7 @@ class Op:
         if self.kind in _TEXT:
             text = self.value if isinstance(self.value, str) else str(self.value)
             if self.kind == "matches":
-                check_pattern(text)
+                text = java_pattern(text)
             return _TEXT[self.kind](target if isinstance(kind, T.StringType) else target.cast("string"), text)
         values = list(self.value) if self.kind == "in" else [self.value]
         for v in values:

@@ -6,11 +6,13 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidescan.functions.scalar import ts_from_micros, ts_micros, value_display
+from tidescan.functions.scalar import new_id, ts_from_micros, ts_micros, value_display
+from tidescan.functions.types import parse_type
 from tidescan.operators import bloom, result
 from tidescan.operators.predicates import Op, contains, ends_with, eq, gt, gteq, is_in, lt, lteq, matches, noteq, starts_with
 from tidescan.operators.scan import Scan, StreamConfig, TsRange, chunk_stats, plan
-from tidescan.sources.schema import Schema
+from tidescan.sources.catalog import Catalog, scratch
+from tidescan.sources.schema import Column
 from tidescan.streaming.paging import next_page, pages
 
 QUERIES: dict = {}
@@ -95,10 +97,24 @@ def absent_column_filter(spark, d):
     return plan(Scan([[gt("young", 1)]], _ID), young)
 
 
-@query("str_matches_utf8", "SELECT id FROM (VALUES (1, '❤❤❤'), (2, '🚲🚑⛄🚑'), (3, '⌚❤❤'), (4, 'tes❤t'), (5, 'hyena⌚❤hyena')) t(id, s) WHERE regexp_matches(s, '(❤{3,}|⌚❤[^❤])')")
+_TEXTS = ((1, "☀☀☀"), (2, "🌊🌧🌊"), (3, "⏳☀☀"), (4, "sun☀rise"), (5, "tide⏳☀tide"))
+
+
+@query("str_matches_utf8", f"SELECT id FROM (VALUES {', '.join(f'({k}, {t!r})' for k, t in _TEXTS)}) t(id, s) WHERE regexp_matches(s, '(☀{{3,}}|⏳☀[^☀])')")
 def str_matches_utf8(spark, d):
-    rows = spark.createDataFrame([(1, "❤❤❤"), (2, "🚲🚑⛄🚑"), (3, "⌚❤❤"), (4, "tes❤t"), (5, "hyena⌚❤hyena")], "id int, s string")
-    return plan(Scan([[matches("s", "(❤{3,}|⌚❤[^❤])")]], ["id"]), rows)
+    return plan(Scan([[matches("s", "(☀{3,}|⏳☀[^☀])")]], ["id"]), spark.createDataFrame(_TEXTS, "id int, s string"))
+
+
+@query("str_matches_class", f"SELECT event_id FROM {_E} t WHERE regexp_matches(string1, '[*+cl]i')")
+def str_matches_class(spark, d):
+    return plan(Scan([[matches("string1", "[*+cl]i")]], ["event_id"]), events(spark, d))
+
+
+@query("str_matches_end", f"SELECT event_id FROM {_E} t WHERE regexp_matches(string1, '(k|r)\\z')")
+def str_matches_end(spark, d):
+    """Texts with a line feed after them don't match."""
+    rows = events(spark, d).select("event_id", F.explode(F.array("string1", F.concat("string1", F.lit("\n")))).alias("string1"))
+    return plan(Scan([[matches("string1", "(k|r)$")]], ["event_id"]), rows)
 
 
 @query("flagship", f"SELECT event_id, ts, sparse1 FROM {_E} t WHERE dense1 >= 5 AND dense1 <= 12 AND sparse1 IN (7, 9, 11) AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20'")
@@ -133,10 +149,10 @@ def stream_page_1(spark, d):
     return next_page(_PAGE, events(spark, d)).rows
 
 
-@query("stream_all_pages", f"SELECT event_id, source_id FROM {_E} t WHERE dense1 < 100 AND source_id IN (0, 1)")
+@query("stream_all_pages", f"SELECT event_id, source_id FROM {_E} t WHERE dense1 < 100")
 def stream_all_pages(spark, d):
     n = read(spark, d, "events").count()
-    scan = _PAGE.replace(groups=[0, 1], stream=StreamConfig(max(400, n // 6), max(150, n // 30)))
+    scan = _PAGE.replace(stream=StreamConfig(max(400, n // 6), max(150, n // 30)))
     return result.merge(*(p.rows for p in pages(scan, events(spark, d))))
 
 
@@ -155,7 +171,32 @@ query("value_display", f"SELECT event_id, coalesce(CAST(sparse1 AS VARCHAR), '')
 query("numeric_bench_dense", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey > 10 AND l_partkey <= 1000")(lambda spark, d: plan(Scan([[gt("l_partkey", 10), lteq("l_partkey", 1000)]], ["l_orderkey", "l_partkey"]), read(spark, d, "lineitem")))
 query("numeric_bench_sparse", "SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN l_partkey END AS sparse1 FROM lineitem WHERE l_orderkey % 2 = 0 AND l_partkey > 10 AND l_partkey <= 1000")(lambda spark, d: plan(Scan([[gt("sparse1", 10), lteq("sparse1", 1000)]], ["l_orderkey", "sparse1"]), read(spark, d, "lineitem").withColumn("sparse1", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_partkey")))))
 query("string_bench_regex", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'worthless')")(lambda spark, d: plan(Scan([[matches("text", "worthless")]], ["doc_id"]), read(spark, d, "documents")))
-query("list_columns", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'timestamp', 'U64Dense'), (CAST(1 AS BIGINT), 'source_id', 'I32Dense')) t(column_id, name, type)")(lambda spark, d: spark.createDataFrame([(c.id, c.name, c.type.name) for c in Schema.default().columns.values()], "column_id long, name string, type string"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """events in a catalog of its own in the shared folder, appended source by source, with an index on string1."""
+    catalog = Catalog.create(spark, f"{scratch(spark)}/catalog-{new_id()}")
+    e = read(spark, sf_dir, "events").select(ts_micros(F.col("ts")).alias("timestamp"), (F.col("user_id") % 3).alias("source_id"), "event_id", F.col("event_type").alias("string1"), F.when(F.col("event_id") % 4 == 0, F.col("event_id")).alias("sparse2"))
+    catalog.add_columns([Column(2, "event_id", parse_type("I64Dense")), Column(3, "string1", parse_type("StringDense")), Column(4, "sparse2", parse_type("I64Sparse"))])
+    catalog.append_frame(e.where("source_id = 0"))
+    catalog.add_indexes({3: "bloom"})
+    catalog.append_frame(e.where("source_id > 0"))
+    return catalog
+
+
+query("append_scan", "SELECT event_id, epoch_us(ts) AS timestamp, CASE WHEN event_id % 4 = 0 THEN event_id END AS sparse2 FROM events WHERE event_id > 20")(lambda spark, d: _catalog(spark, d).scan(Scan([[gt("event_id", 20)]], ["event_id", "timestamp", "sparse2"])))
+query("indexed_contains", "SELECT event_id FROM events WHERE contains(event_type, 'lick') OR event_type = 'error'")(lambda spark, d: _catalog(spark, d).scan(Scan([[contains("string1", "lick")], [eq("string1", "error")]], ["event_id"])))
+query("catalog_ts_minmax", "SELECT epoch_us(min(ts)) AS ts_min, epoch_us(max(ts)) AS ts_max FROM events")(lambda spark, d: _catalog(spark, d).ts_minmax())
+
+
+@query("catalog_pages", "SELECT event_id FROM events WHERE event_id % 4 = 0 AND event_id > 8")
+def catalog_pages(spark, d):
+    catalog = _catalog(spark, d)
+    catalog.compact(700)
+    return result.merge(*(p.rows for p in catalog.pages(Scan([[gt("sparse2", 8)]], ["event_id"], stream=StreamConfig(20_000, 8_000)))))
+
+
+query("list_columns", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'timestamp', 'U64Dense'), (CAST(1 AS BIGINT), 'source_id', 'I32Dense'), (CAST(2 AS BIGINT), 'event_id', 'I64Dense'), (CAST(3 AS BIGINT), 'string1', 'StringDense'), (CAST(4 AS BIGINT), 'sparse2', 'I64Sparse')) t(column_id, name, type)")(lambda spark, d: _catalog(spark, d).list_columns())
 _T = {"dense1": (2, "I64Dense"), "sparse1": (3, "I64Sparse"), "string1": (4, "StringDense")}
 query("scan_result_triples", " UNION ALL ".join(f"SELECT event_id, CAST({i} AS BIGINT) AS column_id, '{t}' AS column_type, CAST({c} AS VARCHAR) AS data FROM {_E} t WHERE dense1 < 20" for c, (i, t) in _T.items()))(lambda spark, d: result.triples(plan(Scan([[lt("dense1", 20)]], ["event_id", *_T]), events(spark, d)), "event_id", {c: i for c, (i, _) in _T.items()}, {c: t for c, (_, t) in _T.items()}))
 

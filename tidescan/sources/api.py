@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidescan.errors import ApiError, CatalogApiError, ColumnNameAlreadyExists, ColumnNameCannotBeEmpty, EngineError, InconsistentData, InvalidFilter, InvalidScanRequest, NoData
+from tidescan.errors import ApiError, CatalogApiError, ColumnNameAlreadyExists, ColumnNameCannotBeEmpty, EngineError, InconsistentData, InvalidScanRequest, NoData
 from tidescan.functions.types import parse_type
 from tidescan.operators.predicates import Op
 from tidescan.operators.scan import Scan, StreamConfig, TsRange
@@ -114,12 +114,12 @@ def to_scan(r: ScanRequest, c: Catalog) -> Scan:
         ops = []
         for f in clause:
             if f.column not in c.schema.columns:
-                raise InvalidFilter(f"column {f.column} not found")
+                raise InvalidScanRequest(f"column {f.column} not found")
             text, textual = isinstance(f.value, str) or f.op == "in" and any(isinstance(v, str) for v in f.value), f.op in ("starts_with", "ends_with", "contains", "matches")
             if text and not textual and f.op != "in":
-                raise InvalidFilter("Numeric operator for string data")
+                raise InvalidScanRequest(f"{f.op} takes numbers, not text")
             if textual and not text:
-                raise InvalidFilter("String operator for numeric data")
+                raise InvalidScanRequest(f"{f.op} takes text, not numbers")
             ops.append(Op(c.schema.columns[f.column].name, f.op, tuple(f.value) if f.op == "in" else f.value))
         clauses.append(ops)
     names = [c.schema.columns[i].name for i in r.projection if i in c.schema.columns]

@@ -1,11 +1,16 @@
 """Catalog: a schema document and a Parquet table under one root, which may be any path that Spark's readers open."""
 from __future__ import annotations
 
+import atexit
+import json
+import re
+import shutil
+import tempfile
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidescan.errors import EngineError, SchemaError
+from tidescan.errors import AppendError, EngineError, SchemaError
 from tidescan.functions.scalar import new_id
 from tidescan.operators import bloom
 from tidescan.operators.scan import Scan, StreamConfig, chunk_stats, plan
@@ -13,14 +18,32 @@ from tidescan.sources.ingest import Append, capacity_of, to_frame, with_chunks
 from tidescan.sources.schema import SOURCE, TS, Column, Schema
 from tidescan.streaming.paging import Page, next_page, pages
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a temporary one, removed at exit, on a local master alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise EngineError("spark.checkpoint.dir isn't set: it has to name a folder that all executors share")
+    own = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, own, True)
+    return own
+
+
 _NAMES = {"ts": TS, "source": SOURCE, "chunk": "chunk_id"}
 
 
 class Catalog:
-    """Schema changes and appends are single-writer; readers always see whole committed files."""
+    """Schema changes and appends are single-writer; readers always see whole committed files.
+
+    A numbered document names the schema, the generation of folders that hold the data, and the next chunk's id. A change writes the
+    next document under another name and renames it, which commits it; the one before stays for readers that have just found it.
+    Chunk ids are reserved before rows are written, so that a failed append leaves a gap and no chunk twice.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema: Schema):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.version, self.generation, self.next_chunk = 0, "", 0
 
     # files, through Hadoop's own file systems
     def _path(self, *parts: str):
@@ -31,40 +54,48 @@ class Catalog:
         path, fs = self._path(*parts)
         return fs.exists(path)
 
-    def _save_schema(self) -> None:
-        """Written under another name, then renamed."""
-        (new, fs), (old, _) = self._path(f"schema-{new_id()}.tmp"), self._path("schema.json")
+    def _versions(self) -> list[int]:
+        path, fs = self._path()
+        found = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(m[1]) for name in found if (m := re.fullmatch(r"schema-(\d+)\.json", name)))
+
+    def _save(self) -> None:
+        """Commits the next document."""
+        (new, fs), (to, _) = self._path(f"schema-{new_id()}.tmp"), self._path(f"schema-{self.version + 1:09d}.json")
         stream = fs.create(new, True)
-        stream.write(bytearray(self.schema.to_json().encode()))
+        stream.write(bytearray(json.dumps(json.loads(self.schema.to_json()) | {"generation": self.generation, "next_chunk": self.next_chunk}, indent=1).encode()))
         stream.close()
-        if fs.exists(old):
-            fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise EngineError(f"can't write {old}")
+        if fs.exists(to) or not fs.rename(new, to):
+            raise EngineError(f"can't write {to}")
+        self.version += 1
+        for old in self._versions():
+            if old < self.version - 1:
+                fs.delete(self._path(f"schema-{old:09d}.json")[0], False)
 
     @classmethod
     def create(cls, spark: SparkSession, root: str) -> Catalog:
         out = cls(spark, root, Schema.default())
-        if out._exists("schema.json"):
+        if out._versions():
             raise EngineError(f"there is a catalog at {root} already")
-        out._save_schema()
+        out._save()
         return out
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Catalog:
         out = cls(spark, root, Schema.default())
-        if not out._exists("schema.json"):
+        if not (versions := out._versions()):
             raise EngineError(f"no catalog at {root}")
-        path, fs = out._path("schema.json")
+        path, fs = out._path(f"schema-{versions[-1]:09d}.json")
         stream = fs.open(path)
         text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        out.schema = Schema.from_json(text)
+        stored = json.loads(text)
+        out.schema, out.version, out.generation, out.next_chunk = Schema.from_json(text), versions[-1], stored["generation"], stored["next_chunk"]
         return out
 
     @classmethod
     def open_or_create(cls, spark: SparkSession, root: str) -> Catalog:
-        return cls.open(spark, root) if cls(spark, root, Schema.default())._exists("schema.json") else cls.create(spark, root)
+        return cls.open(spark, root) if cls(spark, root, Schema.default())._versions() else cls.create(spark, root)
 
     # schema
     def columns(self) -> dict[int, Column]:
@@ -78,12 +109,12 @@ class Catalog:
 
     def add_columns(self, new: list[Column]) -> None:
         self.schema = self.schema.add_columns(new)
-        self._save_schema()
+        self._save()
 
     def add_indexes(self, new: dict[int, str]) -> None:
         """Builds each index from the data that is there."""
         self.schema = self.schema.add_indexes(new)
-        self._save_schema()
+        self._save()
         for i in new:
             self._index(i, self.data())
 
@@ -100,9 +131,9 @@ class Catalog:
     def data(self) -> DataFrame:
         """All rows, with a null in columns that are younger than a row."""
         struct = self.schema.struct().add("chunk_id", "long")
-        if not self._exists("data"):
+        if not self._exists(f"data{self.generation}"):
             return self.spark.createDataFrame([], struct)
-        return self.spark.read.schema(struct).parquet(f"{self.root}/data")
+        return self.spark.read.schema(struct).parquet(f"{self.root}/data{self.generation}")
 
     def append(self, batch: Append) -> int:
         """Rows written."""
@@ -112,43 +143,75 @@ class Catalog:
         """Any number of rows of any sources; columns of the schema that df lacks become null, others raise."""
         if unknown := set(df.columns) - {c.name for c in self.schema.columns.values()}:
             raise SchemaError(f"columns {sorted(unknown)} not found")
-        rows = df.count() if rows is None else rows
+        if rows is None:
+            rows = self._checked(df)
         if not rows:
             return 0
         names, struct = set(df.columns), self.schema.struct()
-        ready = df.select(*(F.col(f.name).cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields))
-        first = self.data().agg(F.coalesce(F.max("chunk_id"), F.lit(-1))).first()[0] + 1
-        with_chunks(ready, first, rows, capacity_of(self.schema, list(names))).write.mode("append").partitionBy(SOURCE).parquet(f"{self.root}/data")
-        for i in self.schema.indexes:
-            self._index(i, self.data().where(F.col("chunk_id") >= first))
+        ready = df.select(*(F.col(f"`{f.name}`").cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields))
+        first, capacity = self.next_chunk, capacity_of(self.schema, list(names))
+        self.next_chunk = first + -(-rows // capacity)
+        self._save()
+        with_chunks(ready, first, rows, capacity).write.mode("append").partitionBy(SOURCE).parquet(f"{self.root}/data{self.generation}")
+        self._describe(F.col("chunk_id") >= first)
         return rows
 
+    def _checked(self, df: DataFrame) -> int:
+        """The number of rows, if every value fits its column: one pass, that raises with the number of rows that don't."""
+        by_name = {c.name: c for c in self.schema.columns.values()}
+        if missing := {TS, SOURCE} - set(df.columns):
+            raise SchemaError(f"columns {sorted(missing)} are missing")
+        wrong = [F.count_if(~by_name[n].type.check(F.col(f"`{n}`"))).alias(n) for n in df.columns]
+        found = df.agg(F.count(F.lit(1)).alias("rows of the frame"), *wrong).first()
+        if bad := {n: found[n] for n in df.columns if found[n]}:
+            raise AppendError(f"rows with a null or a value out of range, by column: {bad}")
+        return found[0]
+
+    def _describe(self, which) -> None:
+        """Stores the statistics and the index entries of chunks that were written just now."""
+        data = self.data().where(which)
+        chunk_stats(data, _NAMES).write.mode("append").parquet(f"{self.root}/chunks{self.generation}")
+        for i in self.schema.indexes:
+            self._index(i, data)
+
     def compact(self, capacity: int | None = None) -> None:
-        """Rewrites all chunks to about `capacity` rows each; ids start anew, so cursors of running pages end."""
-        rows = self.data().count()
+        """Rewrites all chunks to about `capacity` rows each, in folders of a new generation; the document that names them commits it.
+
+        Ids go on, so cursors of running pages end.
+        """
+        old, data = self.generation, self.data()
+        rows = data.count()
         if not rows:
             return
-        fresh, fs = self._path(f"data-{new_id()}")
-        with_chunks(self.data(), 0, rows, capacity or capacity_of(self.schema, [c.name for c in self.schema.columns.values()])).write.partitionBy(SOURCE).parquet(fresh.toString())
-        old, _ = self._path("data")
-        fs.delete(old, True)
-        if not fs.rename(fresh, old):
-            raise EngineError(f"can't replace {old}")
-        for i in self.schema.indexes:
-            path, _ = self._path(f"index-{i}")
+        capacity, first = capacity or capacity_of(self.schema, [c.name for c in self.schema.columns.values()]), 0
+        self.generation = f"-{new_id()}"
+        try:
+            with_chunks(data, first, rows, capacity).write.partitionBy(SOURCE).parquet(f"{self.root}/data{self.generation}")
+            self._describe(F.lit(True))
+            self.next_chunk = -(-rows // capacity)
+            self._save()
+        except Exception:
+            self.generation = old
+            raise
+        for name in (f"data{old}", f"chunks{old}", *(f"index{old}-{i}" for i in self.schema.indexes)):
+            path, fs = self._path(name)
             fs.delete(path, True)
-            self._index(i, self.data())
 
     def stats(self) -> DataFrame:
-        return chunk_stats(self.data(), _NAMES)
+        """One row a chunk, as stored by the appends."""
+        if not self._exists(f"chunks{self.generation}"):
+            return chunk_stats(self.data(), _NAMES)
+        # A chunk's rows of one source may have come in several appends only if ids were reserved twice; then they add up.
+        stored = self.spark.read.parquet(f"{self.root}/chunks{self.generation}")
+        return stored.groupBy(SOURCE, "chunk_id").agg(F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"), F.sum("n_rows").alias("n_rows"))
 
     def ts_minmax(self) -> DataFrame:
-        return self.data().agg(F.min(TS).alias("ts_min"), F.max(TS).alias("ts_max"))
+        return self.stats().agg(F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
 
     # index
     def _index(self, column_id: int, df: DataFrame) -> None:
         name = self.schema.columns[column_id].name
-        bloom.build(df.where(F.col(name).isNotNull()), name, [SOURCE, "chunk_id"]).write.mode("append").parquet(f"{self.root}/index-{column_id}")
+        bloom.build(df.where(F.col(name).isNotNull()), name, [SOURCE, "chunk_id"]).write.mode("append").parquet(f"{self.root}/index{self.generation}-{column_id}")
 
     def _skip_chunks(self, scan: Scan, df: DataFrame) -> DataFrame:
         """Only chunks whose filters cover the scan's needles. The side tables have one short row a chunk."""
@@ -156,11 +219,11 @@ class Catalog:
         condition = bloom.chunk_filter(scan.filters, set(indexed))
         if condition is None:
             return df
-        chunks = self.data().select(SOURCE, "chunk_id").distinct()
+        chunks = self.stats().select(SOURCE, "chunk_id")
         for name in {op.column for clause in scan.filters for op in clause if op.column in indexed}:
-            if not self._exists(f"index-{indexed[name]}"):
+            if not self._exists(f"index{self.generation}-{indexed[name]}"):
                 return df
-            chunks = chunks.join(self.spark.read.parquet(f"{self.root}/index-{indexed[name]}").withColumnRenamed("bloom", f"bloom_{name}"), [SOURCE, "chunk_id"], "left")
+            chunks = chunks.join(self.spark.read.parquet(f"{self.root}/index{self.generation}-{indexed[name]}").withColumnRenamed("bloom", f"bloom_{name}"), [SOURCE, "chunk_id"], "left")
         return df.join(chunks.where(condition).select(SOURCE, "chunk_id"), [SOURCE, "chunk_id"], "left_semi")
 
     # scans
@@ -175,11 +238,11 @@ class Catalog:
 
     def page(self, scan: Scan) -> Page:
         scan, df = self._ready(scan)
-        return next_page(scan, df, self.stats() if scan.granularity == "chunk" else None)
+        return next_page(scan, df, self.stats() if scan.granularity == "chunk" else None, self.stats())
 
     def pages(self, scan: Scan):
         scan, df = self._ready(scan)
-        return pages(scan, df, self.stats() if scan.granularity == "chunk" else None)
+        return pages(scan, df, self.stats() if scan.granularity == "chunk" else None, self.stats())
 
     def stream_ingest(self, stream: DataFrame, checkpoint: str):
         """Appends every micro-batch of a streaming DataFrame that has the catalog's columns."""
