@@ -109,6 +109,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver drop what nothing refers to any more; Spark then deletes the shuffle files of steps that are kept."""
+    spark._jvm.System.gc()
+
+
 def within_rows(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
     """A join whose small side, of narrow rows, is broadcast if its counted rows allow it; else Spark decides."""
     return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
