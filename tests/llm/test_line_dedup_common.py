@@ -6,7 +6,7 @@ from tidescan.llm import line_dedup
 from tidescan.llm.common import shared_folder, written
 
 
-def test_near_lines_with_nothing_but_a_common_stretch_in_common(spark):
+def near_pairs(spark):
     """50 pairs of near lines; all 100 lines are posted under one stretch, and the two of a pair share no other."""
     r = np.random.default_rng(21)
     word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 5))
@@ -20,7 +20,11 @@ def test_near_lines_with_nothing_but_a_common_stretch_in_common(spark):
         w[15:18] = common
         other = [x if i % 2 or i == 16 else "z" + x[1:] for i, x in enumerate(w)]
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return rows
+
+
+def test_near_lines_with_nothing_but_a_common_stretch_in_common(spark):
+    docs = spark.createDataFrame(near_pairs(spark), "doc_id long, text string")
     seen = line_dedup.signatures(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text"))
     keys = {x.id: {k >> line_dedup.PLACE for k in x["keys"]} for x in seen.collect()}
     assert all(len(keys[i] & keys[i + 1]) == 1 for i in range(0, 100, 2)) and len(set.intersection(*keys.values())) == 1 and line_dedup.FEW < 100
@@ -28,6 +32,14 @@ def test_near_lines_with_nothing_but_a_common_stretch_in_common(spark):
     assert got == {i: i % 2 for i in range(100)}
 
 
+def test_pipeline_links_them_too(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in near_pairs(spark)], "doc_id long, text string, n_chars long")
+    got = {x.doc_id: x.n_chars == 0 for x in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {i: i % 2 == 1 for i in range(100)}
+
+
 def test_lengths_within_the_share_are_in_adjoining_spans(spark):
     spans = [x.s for x in spark.range(1, 3000).select(F.col("id").alias("len")).select(line_dedup.span(0.1).alias("s")).collect()]
     for n in range(1, 3000):
