@@ -45,10 +45,16 @@ def covers(bloom: Column, needle: Column) -> Column:
 
 
 def build(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """One filter for each key: the OR of its rows' filters. Exploded trigrams are distinct per task before the shuffle."""
-    bits = df.select(*keys, F.explode(F.transform(trigrams(F.col(column)), bit_positions)).alias("two")).select(*keys, F.explode("two").alias("bit"))
-    words = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, _bit(F.col("bit"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
-    return bits.groupBy(*keys).agg(*words).select(*keys, F.array(*(f"w{w}" for w in range(WORDS))).alias("bloom"))
+    """One filter for each key: the OR of its rows' filters, of which those of a task are put together before the shuffle.
+
+    A row for each place of a text, as steps over rows are compiled and steps within arrays are not. Texts below three bytes have none.
+    """
+    raw, at = F.encode(F.col(column), "utf-8"), F.explode(F.when(F.col("n") >= 3, F.sequence(F.lit(1), F.greatest(F.col("n") - 2, F.lit(1))))).alias("at")
+    places = df.select(*keys, raw.alias("raw")).withColumn("n", F.octet_length("raw")).select(*keys, "raw", at)
+    two = places.select(*keys, F.substring("raw", F.col("at"), F.lit(3)).alias("trigram")).select(*keys, *(F.pmod(F.xxhash64("trigram", F.lit(s)), F.lit(64 * WORDS)).cast("int").alias(f"bit{s}") for s in SEEDS))
+    masks = [reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.shiftright(f"bit{s}", 6) == w, _bit(F.col(f"bit{s}"))).otherwise(F.lit(0).cast("long")) for s in SEEDS)) for w in range(WORDS)]
+    words = [F.bit_or(m).alias(f"w{w}") for w, m in enumerate(masks)]
+    return two.groupBy(*keys).agg(*words).select(*keys, F.array(*(f"w{w}" for w in range(WORDS))).alias("bloom"))
 
 
 def chunk_filter(clauses: list[list[Op]] | None, indexed: set[str]) -> dict[str, Column] | Column | None:
