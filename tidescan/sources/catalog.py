@@ -14,7 +14,7 @@ from tidescan.errors import AppendError, EngineError, SchemaError
 from tidescan.functions.scalar import new_id
 from tidescan.operators import bloom
 from tidescan.operators.scan import Scan, StreamConfig, chunk_stats, plan
-from tidescan.sources.ingest import Append, capacity_of, to_frame, with_chunks
+from tidescan.sources.ingest import Append, capacity_of, ids_of, to_frame, with_chunks
 from tidescan.sources.schema import SOURCE, TS, Column, Schema
 from tidescan.streaming.paging import Page, next_page, pages
 
@@ -150,7 +150,7 @@ class Catalog:
         names, struct = set(df.columns), self.schema.struct()
         ready = df.select(*(F.col(f"`{f.name}`").cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields))
         first, capacity = self.next_chunk, capacity_of(self.schema, list(names))
-        self.next_chunk = first + -(-rows // capacity)
+        self.next_chunk = first + ids_of(rows, capacity)
         self._save()
         with_chunks(ready, first, rows, capacity).write.mode("append").partitionBy(SOURCE).parquet(f"{self.root}/data{self.generation}")
         self._describe(F.col("chunk_id") >= first)
@@ -188,7 +188,7 @@ class Catalog:
         try:
             with_chunks(data, first, rows, capacity).write.partitionBy(SOURCE).parquet(f"{self.root}/data{self.generation}")
             self._describe(F.lit(True))
-            self.next_chunk = -(-rows // capacity)
+            self.next_chunk = ids_of(rows, capacity)
             self._save()
         except Exception:
             self.generation = old

@@ -61,11 +61,30 @@ def to_frame(spark: SparkSession, batch: Append, schema: Schema) -> DataFrame:
     return spark.createDataFrame(list(zip(*columns, strict=True)), schema.struct())
 
 
+#: Rows of a task that cuts chunks: a task and a file for each chunk would take far longer than the rows.
+TASK_ROWS = 1 << 18
+
+
+def tasks_of(rows: int, capacity: int) -> int:
+    """Tasks that cut `rows` rows into chunks; a chunk over `TASK_ROWS` has a task of its own."""
+    return max(1, -(-rows // max(capacity, TASK_ROWS)))
+
+
+def ids_of(rows: int, capacity: int) -> int:
+    """Chunk ids to reserve: each task has as many as all rows could take, as its rows aren't known beforehand."""
+    return tasks_of(rows, capacity) * max(1, -(-rows // capacity))
+
+
 def with_chunks(df: DataFrame, first: int, rows: int, capacity: int) -> DataFrame:
-    """chunk_id from `first` on: ranges of ts with about `capacity` rows each, dealt out by sampled bounds, so no task sees all rows."""
-    n = max(1, -(-rows // capacity))
-    dealt = df.repartitionByRange(n, F.col(TS)) if n > 1 else df.coalesce(1)
-    return dealt.withColumn("chunk_id", F.lit(first).cast("long") + F.spark_partition_id()).sortWithinPartitions(TS)
+    """chunk_id from `first` on, in the order of ts, with `capacity` rows each; the last one of a task may have fewer.
+
+    Tasks take ranges of ts by sampled bounds, so none sees all rows of a large frame.
+    """
+    n = tasks_of(rows, capacity)
+    dealt = (df.repartitionByRange(n, F.col(TS)) if n > 1 else df.coalesce(1)).sortWithinPartitions(TS)
+    # The low 33 bits number a task's rows in their order.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn("chunk_id", F.lit(first).cast("long") + F.spark_partition_id() * F.lit(ids_of(rows, capacity) // n).cast("long") + F.floor(row / capacity))
 
 
 def capacity_of(schema: Schema, names: list[str]) -> int:
